@@ -134,6 +134,65 @@ F Alle Angaben ohne Gewähr, Stand der Seite Holm Bote.
 F Impressum | Datenschutz | AGB
 F Handelsregister HRB 001
 F Nach oben
+A The checklist of rate limiting at Brindle Search
+A Why small merchants matter for folder sync: limits by Alder Labs
+A Brindle Docs and Alder Works agree on title extraction
+A Alder Systems opens its archive drive for log sampling
+A # Brindle Clearing on staged rollout: roles and workflow
+A How Alder Bureau uses a card composer to split call records
+A link finder at Brindle Networks: pilot and samples
+A metrics of capacity planning for Alder Collective
+A - the release manager will detach failed jobs with the permission tree of Alder Bureau
+A - a contractor will requeue rare keywords with the ledger console of Brindle Pay
+A • the support line will trim unread alerts with the sync daemon of Brindle Labs
+A - the platform admin will preload expired vouchers with the image transcriber of Alder Data
+A - Brindle Systems daily digest, Alder Press
+A • Brindle Pay scoring module, Alder Search
+A - Alder Networks layout helper, Brindle Systems
+A 关于云舟支付开展结果评分指标的通知
+A 从版本回退看青禾智联的误区
+A 评分器如何核销低分结果：云舟支付的样例
+A 青禾智联与云舟支付就日志采样达成合作
+A 云舟支付聚合收银台的边界
+A ## 权限目录与青禾智联：缓存失效的流程
+A 青禾智联的表格还原方案
+A - 青禾智联与云舟支付
+A • 云舟支付风控画像
+A - 由财务口回填孤立附件，云舟支付提供受理终端
+A Für die Größe der Ablage hat Alder Data die Schlüssel für 40 Ordner geändert (Brindle Pay)
+A # Am 05.07. hat Brindle Docs den Anteil ungültiger Belege auf 4.1% gedrückt (Alder Labs)
+A Gemäß Plan vom 12.09. hat Alder Works Aufgaben an 50 Agenten verteilt (Brindle Press)
+A In 50 Städten hat Brindle Works den Verbrauch von 7,000 Token erklärt
+A 围绕账单核对，法务顾问重新排定了任务编排器与图片转写工具的先后，原因与消息订阅有关。
+A Asked about nightly batches, two merchants tried the leaderboard service in 30 folders.
+A 云舟支付谈灰度发布：备忘与路线
+A 青禾智联谈标题提取：复盘与进展
+A 青禾清算日报推送的复盘
+A 云舟信使全文索引的细节
+A 云舟工坊令牌看板的路线
+A 青禾数科知识库助手的实践
+A 青禾账务跨境结算通道的对照
+A 云舟卡务去噪流水线的分工
+A 从商户进件看云舟支付的成本
+A 从断点续抓看青禾清算的问答
+A 青禾研习社怎样看待网页抓取验收
+A 云舟平台部的公文格式隐患
+A 令牌看板与青禾网络：消息订阅的备忘
+A 白渡青禾编译社的条码受理误区
+F The views above are those of the author and not of Brindle Daily.
+F Join 4,200 readers of the Brindle Journal letter
+F 声明：本文观点不代表本站立场。
+A noise removal at Alder Networks: practice
+A ## mobile payments at Brindle Pay: pace
+A log sampling at Alder Clearing: notes
+A 风控画像与青禾检索：令牌用量的试点
+A - Alder Collective task planner, Brindle Collective
+F 长按识别下方图片，加入云舟观察读者群
+F 长按识别下方图片，加入青禾在线读者群
+F 加入云舟周刊读者群
+F 本文约 1200 字，阅读约需 4 分钟
+F Print this page
+F Read more
 """
 
 # Headings of lists of other articles.
@@ -273,6 +332,7 @@ This site requires scripts. Turn them on and reload.
 Please turn on scripting support in your settings to view
 please enable cookies and JavaScript
 Loading...
+Quote the reference when you contact support
 Seite nicht gefunden
 Zugriff verweigert
 Bitte aktivieren Sie JavaScript
