@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import pages, repeated
+from quarryline.llm import neardup, pages, repeated
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated.repeated_lines(_t(spark, d, "fetch_result"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.group_pairs(neardup.near_duplicates(_t(spark, d, "fetch_result")))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(_t(spark, d, "fetch_result"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.residue(_t(spark, d, "fetch_result"))
 
@@ -26,6 +34,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_found": p7_found,
 }
 
