@@ -12,7 +12,14 @@ def _ensure_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the shared folder from then on; survives lost executors."""
-    _ensure_dir(df.sparkSession)
+def cut(df: DataFrame, loop: bool = False) -> DataFrame:
+    """``df`` computed once and read from the shared folder from then on; survives lost executors.
+
+    ``loop``: in loops that unite parts, keep to the session's number of shuffle
+    partitions, as the parts' partitions would add up from round to round.
+    """
+    spark = df.sparkSession
+    _ensure_dir(spark)
+    if loop:
+        df = df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.checkpoint(eager=True)
