@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import neardup, pages, repeated
+from quarryline.llm import history, neardup, pages, repeated
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(_t(spark, d, "fetch_result"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeats_of_history(_t(spark, d, "fetch_result"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.residue(_t(spark, d, "fetch_result"))
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
     "p7_found": p7_found,
 }
 
