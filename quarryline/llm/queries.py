@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import history, neardup, pages, repeated
+from quarryline.llm import encoding, history, mixing, neardup, packing, pages, repeated
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,6 +35,30 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.residue(_t(spark, d, "fetch_result"))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(_t(spark, d, "documents"), _t(spark, d, "container_spec"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, d), _t(spark, d, "container_spec"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "source_target"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), _t(spark, d, "source_target"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.mend_texts(_t(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.mend_texts(_t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -42,6 +66,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 
 SQL: dict[str, str] = {}
