@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import folders, hierarchy, shred
+from quarryline.plans import q_search, q_usage
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -96,3 +97,7 @@ UNION ALL
 SELECT folder_id, root_id FROM (SELECT *, list_filter(list_transform(string_split(folder_path, '/'), lambda x: trim(x)), lambda x: x <> '') pc FROM tree)
 WHERE folder_path IS NOT NULL AND len(pc) > 0 AND pc <> path""",
 }
+
+for _m in (q_usage, q_search):
+    QUERIES.update(_m.QUERIES)
+    SQL.update(_m.SQL)
