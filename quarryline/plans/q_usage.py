@@ -61,7 +61,7 @@ _L = r"""WITH l0 AS (SELECT user_id, logged_at, coalesce(message.usage.input_tok
   FROM usage_log WHERE rec_type = 'assistant' AND (message.usage.input_tokens IS NOT NULL OR message.usage.output_tokens IS NOT NULL)
   AND regexp_matches(logged_at, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$')),
 lines AS (SELECT user_id, strftime(local_at, '%Y-%m-%d') AS day, input, output,
-  CASE WHEN oh = '' THEN local_at WHEN oh[1] = '-' THEN local_at + to_minutes(CAST(oh[2:3] AS INT) * 60 + CAST(om AS INT)) ELSE local_at - to_minutes(CAST(oh[2:3] AS INT) * 60 + CAST(om AS INT)) END AS at
+  CASE WHEN oh = '' THEN local_at WHEN oh[1] = '-' THEN local_at + to_minutes(CAST(oh[2:3] AS INT) * 60 + CAST(om AS INT)) ELSE local_at - to_minutes(CAST(oh[2:3] AS INT) * 60 + CAST(om AS INT)) END AS at_utc
   FROM l0 WHERE local_at IS NOT NULL),
 days AS (SELECT user_id, day, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, count(*) AS calls FROM lines WHERE user_id IS NOT NULL GROUP BY 1, 2)
 """
@@ -71,9 +71,9 @@ SQL = {
     "usage_daily_total": _L + "SELECT day, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, count(*) AS calls FROM lines GROUP BY ROLLUP (day)",
     "usage_user_daily": _L + "SELECT * FROM days",
     "usage_recent": _L
-    + """, m AS (SELECT max(at) AS t FROM lines)
-SELECT coalesce(sum(input + output) FILTER (WHERE at > t - INTERVAL 30 MINUTE), 0)::BIGINT AS recent_tokens, count(*) FILTER (WHERE at > t - INTERVAL 30 MINUTE) AS recent_calls,
-coalesce(sum(input + output) FILTER (WHERE at::DATE = t::DATE), 0)::BIGINT AS today_tokens, count(*) FILTER (WHERE at::DATE = t::DATE) AS today_calls FROM lines, m""",
+    + """, m AS (SELECT max(at_utc) AS t FROM lines)
+SELECT coalesce(sum(input + output) FILTER (WHERE at_utc > t - INTERVAL 30 MINUTE), 0)::BIGINT AS recent_tokens, count(*) FILTER (WHERE at_utc > t - INTERVAL 30 MINUTE) AS recent_calls,
+coalesce(sum(input + output) FILTER (WHERE at_utc::DATE = t::DATE), 0)::BIGINT AS today_tokens, count(*) FILTER (WHERE at_utc::DATE = t::DATE) AS today_calls FROM lines, m""",
     "usage_board_total": _L
     + """, t AS (SELECT user_id, sum(input + output)::BIGINT AS tokens, sum(calls)::BIGINT AS calls FROM days GROUP BY 1)
 SELECT row_number() OVER (ORDER BY tokens DESC, user_id) AS rank, user_id, tokens, calls FROM t ORDER BY rank LIMIT 10""",
