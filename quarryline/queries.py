@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import folders, hierarchy, shred
-from quarryline.plans import q_catalog, q_search, q_usage
+from quarryline.plans import q_catalog, q_misc, q_search, q_usage
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -98,6 +98,6 @@ SELECT folder_id, root_id FROM (SELECT *, list_filter(list_transform(string_spli
 WHERE folder_path IS NOT NULL AND len(pc) > 0 AND pc <> path""",
 }
 
-for _m in (q_usage, q_search, q_catalog):
+for _m in (q_usage, q_search, q_catalog, q_misc):
     QUERIES.update(_m.QUERIES)
     SQL.update(_m.SQL)
