@@ -126,7 +126,8 @@ class Mender:
 
     def scores(self, c: np.ndarray) -> np.ndarray:
         """Score of each pair: positive if it adds little to the mutual information."""
-        p = self.counts[_bucket(c[:-1], c[1:])] / self.n
+        # Two occurrences prove nothing in a small corpus and don't matter in a large one.
+        p = np.maximum(self.counts[_bucket(c[:-1], c[1:])] - 2, 0) / self.n
         one = self.counts[_single(c)] / self.n
         pmi = np.log(np.maximum(p, 1e-9) / np.maximum(one[:-1] * one[1:], 1e-18))
         part = np.maximum(p * np.maximum(pmi, 0.1), 1e-9)

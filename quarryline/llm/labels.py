@@ -333,6 +333,7 @@ Please turn on scripting support in your settings to view
 please enable cookies and JavaScript
 Loading...
 Quote the reference when you contact support
+Quote the reference to the administrator.
 Seite nicht gefunden
 Zugriff verweigert
 Bitte aktivieren Sie JavaScript

@@ -316,7 +316,7 @@ class ResidueIndex:
         best = [0.0, 0.0]
         for i, got in hits.items():
             cls = self.docs[i][0] - 1
-            if got >= 0.5 * self.norm[i] or got >= 0.6 * total:
+            if got >= 0.5 * self.norm[i] or len(t) > 2 and got >= 0.6 * total:
                 best[cls] = max(best[cls], got)
         return total, best[0], best[1]
 
@@ -368,7 +368,7 @@ def is_residue(lines: list[str], content: str | None, title: str | None, error:
     # Messages: what is left of the page without frame and lists of articles.
     got = left = 0.0
     bulk = 0
-    in_list = False
+    in_list = weak = False
     for kind, n, x in rest:
         total, _, message = index.line(x)
         hit = total > 0 and message >= MESSAGE_AT * total
@@ -383,9 +383,10 @@ def is_residue(lines: list[str], content: str | None, title: str | None, error:
             continue
         elif kind == FRAME:
             in_list = False
+            weak |= n > 3 and message >= 0.5 * total > 0
         else:
             left += total
             bulk += kind in (BULLET, PARA)
             if kind == PARA:
                 in_list = False
-    return got > 0 and not bulk and got >= 0.4 * left
+    return got > 0 and not bulk and got >= 0.4 * left or weak and not got and not left
