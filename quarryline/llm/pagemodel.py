@@ -383,7 +383,7 @@ def is_residue(lines: list[str], content: str | None, title: str | None, error:
             continue
         elif kind == FRAME:
             in_list = False
-            weak |= len(rest) <= 2 and n > 3 and " > " not in x and message >= 0.5 * total > 0
+            weak |= len(rest) <= 2 and n > 3 and " > " not in x and " | " not in x and message >= 0.5 * total > 0
         else:
             left += total
             bulk += kind in (BULLET, PARA)
