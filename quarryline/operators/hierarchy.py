@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quarryline.plans.lineage import cut
 
 #: Peel rounds in one job.
-ROUNDS = 6
+ROUNDS = 8
 
 
 def _peel(edges: DataFrame, rounds: int) -> DataFrame:
