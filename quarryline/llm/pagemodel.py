@@ -181,8 +181,10 @@ def body_mask(lines: list[str], title: str | None, model: LineModel, repeated: f
     want = fold_line(title or "")
     is_title = set()
     if want:
+        n = len(want)
         for i in live:
-            if len(lines[i]) < 400 and _same(fold_line(_HASH.sub("", no_zero_width(lines[i]).strip())), want):
+            # Folding drops marks, blanks and digits; a line much shorter than the folded title isn't it.
+            if n <= len(lines[i]) + 2 and len(lines[i]) <= len(title) + 60 and _same(fold_line(_HASH.sub("", no_zero_width(lines[i]).strip())), want):
                 is_title.add(i)
                 kind[i], score[i] = HEAD, 1.5
     for i in repeated:
