@@ -289,7 +289,8 @@ class Mender:
         cjk = (raw >= 0x2E80) & (raw < 0xE000) | (raw >= 0xF900)
         touched = np.zeros(len(raw) + 1, dtype=bool)
         for a, b, score in self.runs(s):
-            if score >= RUN or b - a < 4 and score >= 5 or not cjk[a : b + 2].any():
+            joined = a + 1 < len(raw) and cjk[a + 1] and (65 <= raw[a] <= 90 or 97 <= raw[a] <= 122)  # a CJK sign right after a Latin letter
+            if score >= RUN or b - a < 4 and (score >= 5 or joined) or not cjk[a : b + 2].any():
                 touched[a : b + 2] = True
         touched[: len(raw)] |= sign
         if not touched.any():
@@ -299,7 +300,7 @@ class Mender:
         out, at, found, whole = [], 0, lost, True
         cum = np.concatenate([[0], np.cumsum(touched[: len(raw)])])
         groups = [(lo, hi) for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()) if cum[hi] > cum[lo]]
-        inner = [(lo, hi) for lo, hi in groups if hi - lo <= 12 and not _PLAIN.issuperset(text[lo:hi]) and (lo and text[lo - 1].isalpha() or hi < len(text) and text[hi].isalpha())]
+        inner = [(lo, hi) for lo, hi in groups if hi - lo <= 24 and not _PLAIN.issuperset(text[lo:hi]) and (lo and text[lo - 1].isalpha() or hi < len(text) and text[hi].isalpha() or hi - lo > 3 and text[lo:hi].isalpha())]
         single = self._try_single(text, inner) if inner and not lost else {}
         for lo, hi in groups:
             if lo in single:
