@@ -13,8 +13,9 @@ left is verified on bottom sketches of 64 shingle hashes (exact up to 64
 shingles), linked, and linked records form groups.
 
 An anchor of more than ``HOT`` representatives is split into chunks that share
-two pivots, so no task holds an unbounded group; its members also meet in the
-trees of their other anchors.
+two pivots, so no task holds an unbounded group. Its members that these links
+leave in different groups are then compared whole, in a tree for each pair of
+chunks.
 """
 
 import re
@@ -203,12 +204,12 @@ class SignatureTree:
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows (key, rep, n, bits) sorted by key."""
+    """Candidate pairs of rows (key, rep, n, bits) sorted by key; of rows (key, rep, n, bits, label) only those of different labels."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     carry = None
     width = BITS // 8
 
-    def work(key, rep, n, bits):
+    def work(key, rep, n, bits, label):
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts = np.concatenate([[0], cuts])
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
@@ -217,13 +218,14 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(two):
             most = _POP[bits[two] & bits[two + 1]].sum(axis=1) + TOKENS - np.maximum(_POP[bits[two]].sum(axis=1), _POP[bits[two + 1]].sum(axis=1))
             lo, hi = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
-            ok = two[(most >= np.minimum(TOKENS, lo) * least_common(SIMILAR)) & (lo / hi >= SIMILAR * 0.9)]
+            ok = two[(most >= np.minimum(TOKENS, lo) * least_common(SIMILAR)) & (lo / hi >= SIMILAR * 0.9) & (label[two] != label[two + 1])]
             left.append(rep[ok])
             right.append(rep[ok + 1])
         for s, m in zip(starts[sizes > 2], sizes[sizes > 2]):
             ps = SignatureTree(bits[s : s + m], n[s : s + m]).pairs()
             if ps:
                 x = np.array(ps) + s
+                x = x[label[x[:, 0]] != label[x[:, 1]]]
                 left.append(rep[x[:, 0]])
                 right.append(rep[x[:, 1]])
         if not left:
@@ -237,6 +239,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         cols = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, width)]
+        cols.append(b.column(4).to_numpy(zero_copy_only=False) if b.num_columns > 4 else cols[1])
         if carry is not None:
             cols = [np.concatenate([x, y]) for x, y in zip(carry, cols)]
         last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
@@ -275,6 +278,40 @@ def candidate_pairs(reps: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.mapInArrow(_tree_pairs, "a bigint, b bigint").distinct()
 
 
+def hot_pairs(reps: DataFrame, links: DataFrame, hot: int = HOT) -> DataFrame | None:
+    """Pairs (a, b) of members of hot anchors whom ``links`` leave in different groups; None if there are none.
+
+    A member goes to the blocks of its chunk with every chunk, so any two meet
+    in one block of bounded size.
+    """
+    rows = reps.select(F.explode("anchors").alias("anchor"), "rep", "n", "bits")
+    many = cut(rows.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot))
+    if many.isEmpty():
+        return None
+    rows = rows.join(many, "anchor").join(components(links).select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    rows = cut(rows)
+    mixed = rows.groupBy("anchor").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("anchor")
+    chunks = F.ceil(F.col("m") * 2 / hot).cast("int")
+    rows = rows.join(mixed, "anchor").withColumn("own", F.pmod(F.xxhash64("anchor", "rep"), chunks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "n", "bits", "label").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_tree_pairs, "a bigint, b bigint").distinct()
+
+
+def similar_links(reps: DataFrame, sketches: DataFrame, hot: int = HOT) -> DataFrame:
+    """Verified links (a, b) that join all similar representatives; ``sketches`` are rows (fetch_id, n, sketch)."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("fetch_id")).distinct()
+        sk = cut(sketches.join(used, "fetch_id", "left_semi").dropDuplicates(["fetch_id"]))
+        a = sk.select(F.col("fetch_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        b = sk.select(F.col("fetch_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_verify, "a bigint, b bigint"))
+
+    links = verified(cut(candidate_pairs(reps, hot)))
+    more = hot_pairs(reps, links, hot)
+    return links if more is None else links.unionByName(verified(cut(more)))
+
+
 def near_duplicates(df: DataFrame) -> DataFrame:
     """(fetch_id, group, copies_of) for every record that takes part and has a main body.
 
@@ -287,12 +324,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     sig = cut(signatures(df))
     same = sig.groupBy("cls").agg(F.min("fetch_id").alias("rep"))
     reps = sig.select(F.col("fetch_id").alias("rep"), "n", "bits", "anchors").join(same.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    pairs = cut(candidate_pairs(reps))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("fetch_id")).distinct()
-    sk = cut(sig.select("fetch_id", "n", "sketch").join(used, "fetch_id", "left_semi").dropDuplicates(["fetch_id"]))
-    a = sk.select(F.col("fetch_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sk.select(F.col("fetch_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    links = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_verify, "a bigint, b bigint")
+    links = similar_links(reps, sig.select("fetch_id", "n", "sketch"))
     group = components(links)
     member = sig.select("fetch_id", "cls").join(same, "cls").select("fetch_id", F.col("rep").alias("copies_of"))
     return member.join(group.select(F.col("id").alias("copies_of"), "label"), "copies_of", "left").select("fetch_id", F.coalesce("label", "copies_of").alias("group"), "copies_of")
