@@ -112,3 +112,21 @@ def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor, id, distance): every node below every node, as rows; nodes on or below cycles have none."""
     x = tree.where(~F.col("cyclic")).select("id", "depth", F.posexplode("path_ids").alias("p", "ancestor"))
     return x.where("ancestor != id").select("ancestor", "id", (F.col("depth") - F.col("p") - 1).alias("distance"))
+
+
+def all_descendants(tree: DataFrame) -> DataFrame:
+    """``descendants`` with the nodes on and below cycles: members of a cycle are below each other and above all nodes below it.
+
+    ``distance`` is the least number of steps up; a node is not below itself.
+    """
+    up = tree.where("cyclic and parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    reach = cut(up.where("ancestor != id"), loop=True)
+    n = reach.count()
+    while n:  # each round doubles the steps reached
+        far = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("top"), F.col("distance").alias("more"))
+        far = reach.join(far, "ancestor").where("top != id").select("id", F.col("top").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        reach = cut(reach.unionByName(far).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")), loop=True)
+        before, n = n, reach.count()
+        if n == before:
+            break
+    return descendants(tree).unionByName(reach.select("ancestor", "id", "distance"))

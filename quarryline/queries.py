@@ -21,6 +21,10 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(folders.folder_tree(_t(spark, d, "folder"))).selectExpr("ancestor", "id", "cast(distance as bigint) distance")
 
 
+def p1_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.all_descendants(folders.folder_tree(_t(spark, d, "folder"))).selectExpr("ancestor", "id", "cast(distance as bigint) distance")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.block_links(_t(spark, d, "block_response"))
 
@@ -65,6 +69,7 @@ tree AS (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_descendants": p1_descendants,
+    "p1_descendants_all": p1_descendants_all,
     "p4_found": p4_found,
     "p4_blocks": p4_blocks,
     "p4_cells": p4_cells,

@@ -48,6 +48,20 @@ def test_random_forest_with_cycles_equals_brute_force(spark):
     assert links == {(a, k) for k, (_, _, path, cyc) in want.items() if not cyc for a in path if a != k}
 
 
+def test_descendants_on_and_below_cycles(spark):
+    par = {"a": "b", "b": "c", "c": "a", "d": "a", "e": "d", "f": "e", "s": "s", "t": "s", "x": None, "y": "x"}
+    df = spark.createDataFrame(list(par.items()), "id string, parent string").withColumn("name", F.col("id"))
+    want = {}
+    for k in par:
+        up, n = par[k], 1
+        while up is not None and n <= len(par):
+            if up != k:
+                want.setdefault((up, k), n)
+            up, n = par[up], n + 1
+    got = {(r["ancestor"], r["id"]): r["distance"] for r in hierarchy.all_descendants(hierarchy.build_hierarchy(df)).collect()}
+    assert got == want
+
+
 def test_chain_deeper_than_a_block_of_rounds(spark):
     df = spark.createDataFrame([(f"{i:02d}", f"{i - 1:02d}" if i else None, str(i)) for i in range(23)], "id string, parent string, name string")
     assert {r["id"]: r["depth"] for r in hierarchy.build_hierarchy(df, rounds=2).collect()} == {f"{i:02d}": i + 1 for i in range(23)}
