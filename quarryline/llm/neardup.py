@@ -51,9 +51,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _raw(codes: np.ndarray, k: int) -> np.ndarray:
-    acc = np.zeros(len(codes) - k + 1, dtype=np.uint64)
-    for j in range(k):
-        acc = acc * _P + codes[j : j + len(acc)]
+    """Polynomial hashes of the windows of k codes, by doubling the window."""
+    acc, size = codes, 1
+    for bit in bin(k)[3:]:
+        power = np.uint64(pow(int(_P), size, 1 << 64))
+        acc, size = acc[: len(acc) - size] * power + acc[size:], 2 * size
+        if bit == "1":
+            acc, size = acc[:-1] * _P + codes[size:], size + 1
     return acc
 
 
