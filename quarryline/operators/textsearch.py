@@ -111,15 +111,45 @@ def heading(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?m)^#\s+(.+)$", 1), F.lit(""))
 
 
+def best_percent(rows: DataFrame, score: str, key: str, percent: int, least: float) -> DataFrame:
+    """The best ``percent`` of the rows of those with ``score`` of at least ``least``; one row if that is none. Ties by key.
+
+    The rows above the border score are kept by a filter; only rows that tie
+    on the border are ranked, by distributed sums, so nothing is sorted as a
+    whole. Scores are counted per value: they have few decimals. An empty table
+    gives no rows; null scores come last.
+    """
+    from quarryline.operators.prefix import running_sum
+    from quarryline.plans.lineage import cut
+
+    x = cut(rows)
+    by = x.groupBy(score).agg(F.count("*").alias("n")).orderBy(F.desc_nulls_last(score)).toLocalIterator()
+    total, good, above, border, seen = x.count(), x.where(F.col(score) >= least).count(), 0, None, 0
+    k = max(1, min(max(1, total * percent // 100), good))
+    for r in by:  # one row per score, read only as far as the border
+        above, border, seen = seen, r[score], seen + r["n"]
+        if seen >= k:
+            break
+    tied = x.where(F.col(score).eqNullSafe(F.lit(border)))
+    over = x.where(F.col(score) > border) if border is not None else x.where(F.col(score).isNotNull())
+    return over.unionByName(running_sum(tied.withColumn("__g", F.lit(0)), ["__g"], [key], name="__r").where(F.col("__r") < k - above).select(*x.columns))
+
+
 def character_budget(docs: DataFrame, order: str, text: str, most: int = 15_000, each: int = 3_000) -> DataFrame:
-    """Rows taken in order while the signs before (at most ``each`` a row) are below the budget.
+    """(order, chars_before) of rows taken in order while the signs before (at most ``each`` a row) are below the budget.
 
-    The sums are distributed (``running_sum``), so no task holds all rows.
+    Texts become lengths before anything moves. Only the first rows can fit:
+    those are the rows up to the ``most``-th of them with signs, a bound that
+    does not grow with the table, found by a top-k. Rows without signs before
+    it are kept, too. The sums are distributed (``running_sum``).
     """
     from quarryline.operators.prefix import running_sum
 
-    x = docs.withColumn("__n", F.least(F.length(F.coalesce(text, F.lit(""))), F.lit(each))).withColumn("__g", F.lit(0))
-    return running_sum(x, ["__g"], [order], "__n", "chars_before").where(F.col("chars_before") < most).drop("__n", "__g")
+    x = docs.select(order, F.least(F.length(F.coalesce(text, F.lit(""))), F.lit(each)).alias("__n"), F.lit(0).alias("__g"))
+    last = x.where("__n > 0").orderBy(order).limit(most).agg(F.count("*").alias("m"), F.max(order).alias("last")).first()
+    if last["m"] >= most:
+        x = x.where((F.col(order) <= F.lit(last["last"])) | F.col(order).isNull())
+    return running_sum(x, ["__g"], [order], "__n", "chars_before").where(F.col("chars_before") < most).select(order, "chars_before")
 
 
 def table_islands(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -56,8 +56,10 @@ def folder_docs(s, d):
 
 
 def name_hits(s, d):
-    x = C.distinct_docs(_t(s, d, "doc")).select("obj_token", "doc_name", F.lit("").alias("folder_path"))
-    return C.search_names(x, "离线钱包")
+    """Documents by name or by the path of their folder; those in no folder of the tree by name alone."""
+    docs = C.distinct_docs(_t(s, d, "doc")).select("obj_token", "doc_name", "folder_id")
+    paths = C.flatten_docs(folders.folder_tree(_t(s, d, "folder")), docs.select("obj_token", "folder_id")).select("obj_token", "folder_path")
+    return C.search_names(docs.join(paths, "obj_token", "left"), "离线钱包")
 
 
 _TASKS = [
@@ -144,7 +146,9 @@ SELECT fetch_id, substr(md5(url), 1, 8) AS url_hash FROM p, m WHERE batch_no > m
 ELSE '{DOMAIN}' || CASE substr(obj_token, 1, 3) WHEN 'sht' THEN '/sheets/' WHEN 'box' THEN '/file/' WHEN 'wik' THEN '/wiki/' ELSE '/docx/' END || obj_token END AS url FROM dd""",
     "doc_edit_times": f"""WITH {_DOC} SELECT obj_token, strftime(CASE WHEN regexp_matches(edit_time, '^\\d{{13}}$') THEN make_timestamp(CAST(edit_time AS BIGINT) * 1000) WHEN regexp_matches(edit_time, '^\\d{{1,12}}$') THEN make_timestamp(CAST(edit_time AS BIGINT) * 1000000)
 ELSE try_strptime(substr(replace(edit_time, 'T', ' '), 1, 16), '%Y-%m-%d %H:%M') END, '%Y-%m-%d %H:%M:%S') AS edited FROM dd""",
-    "doc_name_hits": f"""WITH {_DOC}, x AS (SELECT obj_token, lower(coalesce(doc_name, '')) n FROM dd), y AS (SELECT obj_token, CASE WHEN n = '离线钱包' THEN 1.0 WHEN contains(n, '离线钱包') THEN 0.8
+    "doc_name_hits": _TREE
+    + f"""{_DOC}, x AS (SELECT obj_token, lower(coalesce(doc_name, '')) n, lower(coalesce('/' || array_to_string(path, '/'), '')) p FROM dd LEFT JOIN tree t ON t.folder_id = dd.folder_id),
+y AS (SELECT obj_token, CASE WHEN n = '离线钱包' THEN 1.0 WHEN contains(n, '离线钱包') THEN 0.8 WHEN contains(p, '离线钱包') THEN 0.5
 ELSE round((contains(n, '离')::INT + contains(n, '线')::INT + contains(n, '钱')::INT + contains(n, '包')::INT) / 4.0 * 0.3, 6) END::DOUBLE AS score FROM x) SELECT * FROM y WHERE score >= 0.3""",
     "folder_counts": _LATEST
     + f""", {_DOC}, o AS (SELECT folder_id, count(*) n FROM dd WHERE folder_id IS NOT NULL GROUP BY 1), k AS (SELECT parent, count(*) n FROM e0 WHERE parent IS NOT NULL GROUP BY 1)

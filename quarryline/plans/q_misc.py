@@ -55,10 +55,12 @@ def docs_unlisted(s, d):
 
 
 def doc_content_source(s, d):
-    """Content of a document by its blocks, else by its name."""
+    """Content of a document by the text of its blocks, else by its name; documents with neither are failed."""
     doc = catalog.distinct_docs(_t(s, d, "doc"))
-    titles = _t(s, d, "block_response").where("code = 0 and block_map is not null").groupBy(F.col("doc_token").alias("obj_token")).agg(F.count("*").cast("string").alias("content"))
-    return listing.first_source("obj_token", [("blocks", titles.where("obj_token is not null")), ("name", doc.select("obj_token", F.col("doc_name").alias("content")))])
+    blocks = blocktext.block_markdown(_t(s, d, "block_response")).select(F.col("doc_token").alias("obj_token"), F.when(F.trim("text") != "", F.col("text")).alias("content"))
+    found = listing.first_source("obj_token", [("blocks", blocks), ("name", doc.select("obj_token", F.col("doc_name").alias("content")))])
+    every = doc.select("obj_token").union(blocks.select("obj_token")).distinct()
+    return every.join(found, "obj_token", "left").select("obj_token", "content", F.coalesce("method", F.lit("failed")).alias("method"))
 
 
 def line_next(s, d):
@@ -90,7 +92,6 @@ _LAST = """WITH latest AS (SELECT folder_id, any_value(folder_name) folder_name,
 SQL = {
     "folder_children": _LAST + ", n AS (SELECT DISTINCT unnest(children) AS folder_id FROM latest) SELECT n.folder_id, coalesce(folder_name, '文档_' || substr(n.folder_id, 1, 8)) AS folder_name FROM n LEFT JOIN latest USING (folder_id) WHERE n.folder_id IS NOT NULL",
     "docs_unlisted": _LAST + f", {_DOC} SELECT obj_token, folder_id FROM dd WHERE folder_id IS NULL OR folder_id NOT IN (SELECT folder_id FROM latest)",
-    "doc_content_source": f"WITH {_DOC}, b AS (SELECT doc_token, count(*)::VARCHAR c FROM block_response WHERE code = 0 AND block_map IS NOT NULL AND doc_token IS NOT NULL GROUP BY 1) SELECT coalesce(doc_token, obj_token) AS obj_token, coalesce(c, doc_name) AS content, CASE WHEN c IS NULL THEN 'name' ELSE 'blocks' END AS method FROM b FULL JOIN dd ON doc_token = obj_token WHERE coalesce(c, doc_name) IS NOT NULL",
     "log_line_next": "WITH x AS (SELECT file_path, line_no, min(rec_type) AS rec_type FROM usage_log WHERE file_path IS NOT NULL GROUP BY 1, 2), y AS (SELECT rec_type, lead(rec_type) OVER (PARTITION BY file_path ORDER BY line_no) AS next_rec_type FROM x) SELECT rec_type, next_rec_type, count(*) AS n FROM y GROUP BY 1, 2",
     "usage_windows": _WIN,
     "stream_usage_windows": _WIN,

@@ -24,10 +24,7 @@ def result_score(s, d):
 
 def top_percent(s, d):
     """The best 35 percent of the results with score 1 or more, at least one; ties in order of arrival."""
-    x = result_score(s, d)
-    n = x.agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 1).alias("m")).first()
-    k = max(1, min(max(1, n["n"] * 35 // 100), n["m"]))
-    return x.orderBy(F.desc("score"), "fetch_id").limit(k)
+    return X.best_percent(result_score(s, d), "score", "fetch_id", 35, 1)
 
 
 def first_dedup(s, d):

@@ -94,6 +94,12 @@ JOIN b x ON x.doc_token = l.doc_token AND x.block_id = l.p JOIN b y ON y.doc_tok
     "p1_descendants": _P1_CTE
     + """SELECT a.anc AS ancestor, a.folder_id AS id, a.depth - a.pos AS distance FROM (
   SELECT folder_id, len(ids) depth, unnest(ids) anc, generate_subscripts(ids, 1) pos FROM tree) a WHERE a.anc <> a.folder_id""",
+    "p1_descendants_all": _P1_CTE
+    + """, cyc AS (SELECT folder_id, parent FROM edges WHERE folder_id NOT IN (SELECT folder_id FROM tree)),
+walk AS (SELECT folder_id, parent, 1 n FROM cyc UNION ALL SELECT w.folder_id, c.parent, n + 1 FROM walk w JOIN cyc c ON w.parent = c.folder_id WHERE n < 150)
+SELECT a.anc AS ancestor, a.folder_id AS id, a.depth - a.pos AS distance FROM (
+  SELECT folder_id, len(ids) depth, unnest(ids) anc, generate_subscripts(ids, 1) pos FROM tree) a WHERE a.anc <> a.folder_id
+UNION ALL SELECT parent, folder_id, min(n)::BIGINT FROM walk WHERE parent <> folder_id GROUP BY ALL""",
     "p1_found": _P1_CTE
     + """, cyc AS (SELECT folder_id, parent FROM edges WHERE folder_id NOT IN (SELECT folder_id FROM tree)),
 walk AS (SELECT folder_id, parent, 0 n FROM cyc UNION ALL SELECT w.folder_id, c.parent, n + 1 FROM walk w JOIN cyc c ON w.parent = c.folder_id WHERE n < 300)
