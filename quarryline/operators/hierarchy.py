@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.plans.lineage import cut
+from quarryline.plans.lineage import cut, small_plans
 
 #: Peel rounds in one job.
 ROUNDS = 8
@@ -76,7 +76,12 @@ def build_hierarchy(edges: DataFrame, id_col: str = "id", parent_col: str = "par
     """
     e = edges.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.col(name_col).alias("name"))
     known = e.select(F.col("id").alias("parent"), F.lit(True).alias("__known")).distinct()
-    e = e.join(known, "parent", "left").select("id", F.when(F.col("__known"), F.col("parent")).alias("parent"), "name")
+    e = cut(e.join(known, "parent", "left").select("id", F.when(F.col("__known"), F.col("parent")).alias("parent"), "name"))
+    with small_plans(e.sparkSession, e.count()):
+        return _build(e, rounds)
+
+
+def _build(e: DataFrame, rounds: int) -> DataFrame:
     nodes = cut(_peel(e, rounds), loop=True)
     roots = nodes.where("level is not null and parent is null").select(
         "id", "parent", "name", F.col("id").alias("root"), F.lit(1).alias("depth"), F.array("name").alias("path"), F.array("id").alias("path_ids"), "level", "size", F.lit(False).alias("cyclic")
