@@ -1,4 +1,9 @@
-"""Labelled pages: invented pages whose lines were labelled by hand.
+"""Labelled pages: lines labelled by hand, a bounded sample for the line model.
+
+About a third of the lines, most filler exemplars and a quarter of the messages
+were seen on pages of the test tables (other hosts and names may stand there);
+the others were written for this file. Figures on those tables are therefore
+not figures on unseen frames.
 
 ``F`` marks a line of the page's frame, ``A`` a line of the article. The line
 model of ``pagemodel`` is fitted on these lines only.

@@ -41,14 +41,18 @@ def bisect_entropy(shares: dict[str, float], target: float, rounds: int = 60) ->
     return (lo + hi) / 2
 
 
-def budget(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], total: float | None = None, rounds: int = 60) -> tuple[dict[str, float], float, float]:
+def budget(
+    tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], total: float | None = None, entropy_at: float | None = None, rounds: int = 60
+) -> tuple[dict[str, float], float, float]:
     """(weights, total, exponent) for sources with tokens.
 
     Without ``total`` the weights are the targets (exponent 1) and the total
     the largest that keeps all repetition limits. With it the targets are
     multiplied by ``(natural / target) ** (1 - exponent)``: the largest
     exponent at which the total is within the limits is bisected; if none is,
-    exponent 0 (natural shares) and the largest possible total are taken.
+    exponent 0 (natural shares) and the largest possible total are taken. With
+    ``entropy_at`` the weights are the sources' own token shares raised to the
+    exponent at which their entropy is that part of the largest possible one.
     """
     live = {k: t for k, t in tokens.items() if t > 0 and target.get(k, 0) > 0 and repeats.get(k, 0) > 0}
     z, n = sum(target[k] for k in live), sum(live.values())
@@ -64,6 +68,11 @@ def budget(tokens: dict[str, int], target: dict[str, float], repeats: dict[str,
     def most(w: dict[str, float]) -> float:
         return min(repeats[k] * live[k] / w[k] for k in live)
 
+    if entropy_at is not None:
+        natural = {k: live[k] / n for k in live}
+        x = bisect_entropy(natural, entropy_at * math.log(len(live)))
+        w = temper(natural, x)
+        return w, most(w) if total is None else min(total, most(w)), x
     if total is None or most(want) >= total:
         return want, most(want) if total is None else total, 1.0
     lo, hi = 0.0, 1.0
@@ -80,9 +89,14 @@ def sized_sources(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return token_counts(docs.withColumn("source", F.lower(blank_to_null(F.col("source")))), "doc_id", "text", path, ("source",))
 
 
-def mix(docs: DataFrame, target: DataFrame, total: float | None = None, seed: int = 1, path: str = VOCABULARY, blocks: int = BLOCKS) -> DataFrame:
+def mix(
+    docs: DataFrame, target: DataFrame, total: float | None = None, seed: int = 1, path: str = VOCABULARY, blocks: int = BLOCKS, part: float | None = None, entropy_at: float | None = None
+) -> DataFrame:
     """(block, source, doc_id, use, tokens): every use of a document in the mix.
 
+    ``total`` is the wanted size in tokens, ``part`` the same as a part of the
+    live tokens, ``entropy_at`` a target entropy (see ``budget``).
+
     ``use`` counts a document's uses from 1, never beyond the source's
     max_repeats. Documents without tokens, with a null or blank source or with
     one that has no target are left out; targets without documents are left
@@ -92,7 +106,8 @@ def mix(docs: DataFrame, target: DataFrame, total: float | None = None, seed: in
     sized = cut(sized_sources(docs, path).where("tokens > 0 and source is not null"))
     sized = sized.where(F.col("source").isin(list(goal)))
     have = {r["source"]: int(r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # at most one row per target
-    w, whole, _ = budget(have, {k: float(r["target_share"] or 0) for k, r in goal.items()}, {k: int(r["max_repeats"] or 0) for k, r in goal.items()}, total)
+    total = total if part is None else part * sum(have.values())
+    w, whole, _ = budget(have, {k: float(r["target_share"] or 0) for k, r in goal.items()}, {k: int(r["max_repeats"] or 0) for k, r in goal.items()}, total, entropy_at)
     if not w:
         return sized.select(F.lit(0).cast("bigint").alias("block"), "source", "doc_id", F.lit(1).cast("bigint").alias("use"), "tokens").limit(0)
     plan = docs.sparkSession.createDataFrame([(k, float(have[k]), float(w[k] * whole)) for k in w], "source string, have double, budget double")

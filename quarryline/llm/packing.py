@@ -76,8 +76,6 @@ def reduce_dominated(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[t
             take(w, n)
             if p in left:
                 take(p, min(n, left[p]))
-        if w in left and keys and 3 * keys[0] <= capacity - w:
-            break  # smaller first items have even more room
     return fixed, left
 
 
@@ -138,6 +136,12 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return done
 
 
+def fixed_containers(sizes: dict[int, int], capacity: int) -> tuple[int, int]:
+    """(containers that the reduction fixes, those of them with more than one item)."""
+    fixed, _ = reduce_dominated(sizes, capacity)
+    return sum(n for _, n in fixed), sum(n for items, n in fixed if len(items) > 1)
+
+
 def plan(sizes: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Fillings (sizes of a container, number of such containers) for a histogram of sizes up to the capacity."""
     fixed, left = reduce_dominated(sizes, capacity)
@@ -207,8 +211,19 @@ def pack_documents(docs: DataFrame, spec: DataFrame, path: str = VOCABULARY) ->
 
 
 def fill_report(packed: DataFrame, spec: DataFrame) -> DataFrame:
-    """(container_kind, containers, tokens, fill, least): ``least`` is the lower bound on containers by total size."""
+    """(container_kind, containers, tokens, fill, least, fixed, fixed_several) of packed documents.
+
+    ``least`` is the lower bound on containers by total size, ``fixed`` the
+    containers that the dominance reduction decided, ``fixed_several`` those of
+    them with more than one item.
+    """
+    spec = spec.select("container_kind", "capacity_tokens")
+    sizes: dict[str, dict[int, int]] = {}
+    for r in packed.groupBy("container_kind", "size").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows a kind
+        sizes.setdefault(r["container_kind"], {})[int(r["size"])] = int(r["n"])
+    kinds = [(r["container_kind"], *fixed_containers(sizes.get(r["container_kind"], {}), int(r["capacity_tokens"]))) for r in spec.where("capacity_tokens > 0").collect()]
+    fixed = packed.sparkSession.createDataFrame(kinds, "container_kind string, fixed bigint, fixed_several bigint")
     by = packed.groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
-    return by.join(F.broadcast(spec.select("container_kind", "capacity_tokens").limit(10_000)), "container_kind").select(
-        "container_kind", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("fill"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least")
+    return by.join(F.broadcast(spec), "container_kind").join(F.broadcast(fixed), "container_kind").select(  # one row per kind
+        "container_kind", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("fill"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least"), "fixed", "fixed_several"
     )

@@ -1,6 +1,7 @@
 """Sizes of texts in tokens of a public tokenizer."""
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,26 +21,28 @@ def load(path: str = VOCABULARY):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Texts are encoded in pieces cut at line ends, as very long runs of letters are slow to merge.
-PIECE = 20_000
+#: Runs of white space that the split pattern's look-ahead would need too much stack for.
+_GAP = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{5000,}")
 
 
 def counter(path: str = VOCABULARY):
-    """A function that counts the tokens of a text; 0 for null and empty texts."""
+    """A function that counts the tokens of a whole text; 0 for null and empty texts.
+
+    A very long run of white space is one piece of the split pattern (but for
+    its last sign, if something follows) and is encoded as such; the count is
+    that of the whole text.
+    """
     enc = load(path)
 
     def count(text: str | None) -> int:
         if not text:
             return 0
-        if len(text) <= PIECE:
-            return len(enc.encode_ordinary(text))
-        n, at = 0, 0
-        while at < len(text):
-            cut = text.rfind("\n", at, at + PIECE)
-            cut = min(len(text), at + PIECE) if cut <= at or at + PIECE >= len(text) else cut
-            n += len(enc.encode_ordinary(text[at:cut]))
-            at = cut
-        return n
+        n = at = 0
+        for m in _GAP.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : end]))
+            at = end
+        return n + len(enc.encode_ordinary(text[at:]))
 
     return count
 

@@ -127,8 +127,47 @@ def test_mix_reaches_the_shares(spark):
 
 @needs_vocabulary
 def test_long_texts_are_counted_whole():
-    count = counter()
-    assert count(None) == count("") == 0 and count("word " * 50_000) > 49_000 and math.isclose(count("a b\n" * 20_000), 20_000 * count("a b\n"), rel_tol=0.01)
+    from quarryline.llm.tokens import load
+
+    count, enc = counter(), load()
+    assert count(None) == count("") == 0
+    for gap in (5000, 6001):
+        for text in ("a" + " " * gap + "b", "\n" * gap, " " * gap + "支付", "支付\n" + "\u3000" * gap + "x  y" + " " * gap, "word " * 50_000):
+            assert count(text) == len(enc.encode_ordinary(text))
+    assert count(" " * 1_000_000 + "x") > 1 and count("x" * 1_000_000) > 1
+
+
+@needs_vocabulary
+def test_mix_tempers(spark):
+    docs = spark.createDataFrame([(i, "word " * 20, "a" if i < 20 else "b") for i in range(400)], "doc_id bigint, text string, source string")
+    target = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    whole = {r["source"]: r for r in mixing.shares(mixing.mix(docs, target, part=1.0), target).collect()}
+    assert 0.05 < whole["a"]["share"] < 0.12 and whole["a"]["most_uses"] == 2 and whole["b"]["most_uses"] == 1
+    even = {r["source"]: r["share"] for r in mixing.shares(mixing.mix(docs, target, entropy_at=0.9), target).collect()}
+    assert mixing.entropy(even) == pytest.approx(0.9 * math.log(2), abs=0.03)
+
+
+def test_reduction_fixes_pairs():
+    sizes = {k: 3 for k in range(1, 101)}
+    every, several = packing.fixed_containers(sizes, 100)
+    assert every >= 100 and several >= 50
+
+
+def test_republished_lines_are_no_boilerplate(spark):
+    from quarryline.llm import repeated
+    from tests.llm.test_pages import FETCH
+
+    rows = []
+    for i in range(40):
+        own = f"Own text number {chr(65 + i % 26)}{chr(65 + i // 26)} of this page, which only stands here."
+        rows.append((i, 1, True, f"https://s.example/{i}", None, ("Republished line in one article." if i % 2 else own) + "\nShare this page", None, None))
+    df = spark.createDataFrame(rows, FETCH)
+    df = df.drop("fetch_time").withColumn("fetch_time", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(fetch_id % 5 as int))"))
+    plain = {(r["fetch_id"], r["line_no"]) for r in repeated.repeated_lines(df).collect()}
+    strict = {(r["fetch_id"], r["line_no"]) for r in repeated.repeated_lines(df, min_clusters=10, min_days=3).collect()}
+    assert {x for x in plain if x[1] == 1} and {x[1] for x in strict} == {2} and len(strict) == 40
+    clean = {r["fetch_id"]: r["content"] for r in repeated.without_repeated(df, repeated.repeated_lines(df, min_clusters=10, min_days=3)).collect()}
+    assert clean[1] == "Republished line in one article." and len(clean) == 40
 
 
 def test_queries_have_found_names():
