@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows up to which loops of many small plans run without adaptive execution, and their shuffle partitions.
-SMALL, FEW = 200_000, 8
+SMALL, FEW = 200_000, 4
 
 
 def _ensure_dir(spark: SparkSession) -> str:
