@@ -133,7 +133,7 @@ class LineModel:
         if not text:
             return BLANK, 0.0, 0
         if len(text) > 160 and (text.count("。") >= 2 or text.count(". ") >= 1) and _TAIL.search(text):
-            n = _count(text)
+            n = text.count(" ") + 1 if text.isascii() else _count(text)  # white runs are one blank here
             return PARA, max(2.0, WORD * n), max(LONG, n)
         ends = len(_ENDS.findall(text))
         n = _count(text)
