@@ -3,12 +3,16 @@
 ``inline_plan`` analyses a schema as a graph: members that occur once are
 inlined into their owner's table as columns named by their path; members that
 repeat (arrays, maps) get tables of their own, whose foreign key is the
-owner's key and whose own key adds the position or the map key; an element
-named as shared (reached over several edges or by itself) gets one table, and
-each edge to it a link table of (owner key, target id). ``shred`` builds the
-tables from the plan.
+owner's key and whose own key adds the position or the map key. An element that
+is given by value has one owner; only one that is told by its id can be shared.
+Members that hold ids are declared (``Ref``), and the graph of these edges is
+searched: an element with several edges to it, or one that reaches itself, is
+kept in one table of its own and each edge to it becomes link rows; an element
+with one edge stays a foreign key in its owner's table. ``shred`` builds the
+tables from the plan, ``links`` the link rows.
 """
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +20,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@dataclass(frozen=True)
+class Ref:
+    """Edge of the schema graph: a member that holds ids of ``target``; ``up`` if the element told is the owner of the telling one."""
+
+    target: str
+    up: bool = False
+
+
+def shared_elements(edges: Iterable[tuple[str, str]]) -> set[str]:
+    """Elements that several edges (from, to) reach, or that reach themselves."""
+    edges = list(edges)
+    after: dict[str, set[str]] = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reached(x: str) -> set[str]:
+        seen, front = set(), set(after.get(x, ()))
+        while front:
+            seen |= front
+            front = {z for y in front for z in after.get(y, ())} - seen
+        return seen
+
+    targets = [b for _, b in edges]
+    return {x for x in targets if targets.count(x) > 1 or x in reached(x)}
+
+
 @dataclass
 class Table:
-    """A flat table: key columns, inlined columns (name -> path) and how its rows are reached."""
+    """A flat table: key columns, inlined columns (name -> path), columns that make link rows and how its rows are reached."""
 
     name: str
     keys: list[str]
@@ -26,38 +56,58 @@ class Table:
     explode: str | None = None
     kind: str = "root"
     columns: dict[str, str] = field(default_factory=dict)
+    links: dict[str, Ref] = field(default_factory=dict)
+
 
+def inline_plan(schema: T.StructType, name: str, keys: list[str], refs: dict[str, Ref] | None = None, edges: Iterable[tuple[str, str]] = ()) -> list[Table]:
+    """Tables of a schema, owners before owned.
 
-def inline_plan(schema: T.StructType, name: str, keys: list[str]) -> list[Table]:
-    """Tables of a schema, owners before owned."""
+    ``refs``: members that hold ids, by their dotted path, arrays and maps
+    passed over. ``edges`` (from, to) are those of the other elements of the
+    graph.
+    """
+    refs = refs or {}
+    shared = shared_elements([*[(name, r.target) for r in refs.values()], *edges])
     root = Table(name, list(keys))
     tables = [root]
+    found: set[str] = set()
+
+    def column(table: Table, label: str, path: str, at: str) -> None:
+        table.columns[label] = path
+        if at in refs:
+            found.add(at)
+            if refs[at].target in shared:
+                table.links[label] = refs[at]
 
-    def walk(table: Table, struct: T.StructType, path: str, label: str) -> None:
+    def walk(table: Table, struct: T.StructType, path: str, label: str, at: str) -> None:
         for f in struct.fields:
             p, n = f"{path}`{f.name}`", f"{label}{f.name}"
-            if n in table.keys:
+            if not at and n in root.keys:
                 continue
+            while n in table.keys:  # a member of the name of an owner's key
+                n = f"item_{n}"
             if isinstance(f.dataType, T.StructType):
-                walk(table, f.dataType, p + ".", n + "_")
+                walk(table, f.dataType, p + ".", n + "_", f"{at}{f.name}.")
             elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-                repeat(table, f.dataType, p, n)
+                repeat(table, f.dataType, p, n, at + f.name)
             else:
-                table.columns[n] = p
+                column(table, n, p, at + f.name)
 
-    def repeat(owner: Table, kind: T.DataType, path: str, label: str) -> None:
+    def repeat(owner: Table, kind: T.DataType, path: str, label: str, at: str) -> None:
         is_map = isinstance(kind, T.MapType)
         child = Table(f"{owner.name}_{label}", [*owner.keys, f"{label}_{'key' if is_map else 'pos'}"], owner.name, path, "map" if is_map else "array")
         tables.append(child)
         item = kind.valueType if is_map else kind.elementType
         if isinstance(item, T.StructType):
-            walk(child, item, "`__v`.", "")
+            walk(child, item, "`__v`.", "", at + ".")
         elif isinstance(item, (T.ArrayType, T.MapType)):
-            repeat(child, item, "`__v`", "item")
+            repeat(child, item, "`__v`", "item", at)
         else:
-            child.columns["value"] = "`__v`"
+            column(child, "value", "`__v`", at)
 
-    walk(root, schema, "", "")
+    walk(root, schema, "", "", "")
+    if lost := set(refs) - found:
+        raise ValueError(f"no member {', '.join(sorted(lost))} in {name}")
     return tables
 
 
@@ -81,6 +131,47 @@ def shred(df: DataFrame, name: str, keys: list[str]) -> dict[str, DataFrame]:
     return out
 
 
+def _values(tables: dict[str, Table], table: Table, path: str) -> Column:
+    """All values of a member of a table for one row of the root, as an array without nulls."""
+
+    def member(v: Column | None, path: str) -> Column:
+        if v is None:
+            return F.col(path)
+        for part in path.split("`")[3::2]:  # after `__v`
+            v = v[part]
+        return v
+
+    chain = [table]
+    while chain[0].source:
+        chain.insert(0, tables[chain[0].source])
+
+    def values(v: Column | None, at: int) -> Column:
+        if at == len(chain):
+            return F.array(member(v, path))
+        own = member(v, chain[at].explode)
+        own = F.map_values(own) if chain[at].kind == "map" else own
+        # Values of the last table are taken as they are, without an array for each.
+        last = at + 1 == len(chain)
+        return F.transform(own, lambda x: member(x, path)) if last else F.flatten(F.filter(F.transform(own, lambda x: values(x, at + 1)), lambda x: x.isNotNull()))
+
+    got = values(None, 1)
+    return F.filter(F.coalesce(got, F.array().cast("array<string>")), lambda x: x.isNotNull())
+
+
+def links(df: DataFrame, name: str, scope: list[str], key: str, refs: dict[str, Ref]) -> DataFrame:
+    """(*scope, owner, owned): distinct link rows over all edges to shared elements, in one pass over ``df``."""
+    plan = {t.name: t for t in inline_plan(df.schema, name, [*scope, key], refs)}
+    own = F.col(key)
+
+    def row(up: bool):
+        return lambda x: F.struct((x if up else own).alias("owner"), (own if up else x).alias("owned"))
+
+    each = [F.transform(_values(plan, t, t.columns[c]), row(r.up)) for t in plan.values() for c, r in t.links.items()]
+    if not each:
+        return df.select(*scope, own.alias("owner"), own.alias("owned")).limit(0)
+    return df.select(*scope, F.explode(F.concat(*each)).alias("__l")).select(*scope, "__l.owner", "__l.owned").where("owner is not null and owned is not null").distinct()
+
+
 # ---------------------------------------------------------------- documents of blocks
 
 _TEXT = "text: struct<initialAttributedTexts: struct<text: map<string,string>, attribs: map<string,string>>, segments: array<string>>"
@@ -88,6 +179,8 @@ BLOCK = (
     f"id string, version bigint, data struct<type: string, parent_id: string, children: array<string>, {_TEXT}, "
     "cell_set: map<string, struct<block_id: string, merge_info: struct<row_span: bigint, col_span: bigint>>>, cells: array<array<string>>, columns_id: array<string>, rows_id: array<string>>"
 )
+#: Edges between blocks: a block is told by four members, so it is shared, and it reaches itself.
+BLOCK_REFS = {"data.parent_id": Ref("block", up=True), "data.children": Ref("block"), "data.cell_set.block_id": Ref("block"), "data.cells": Ref("block")}
 META = "map<string, struct<title: string, owner: struct<open_id: string, dept: struct<name: string>>, members: array<struct<open_id: string, perm: struct<edit: boolean, share: array<struct<to: string>>>>>>>"
 
 
@@ -148,20 +241,7 @@ def block_links(responses: DataFrame) -> DataFrame:
     itself are left out.
     """
     b = block_rows(responses).select("doc_token", "block_id", "data")
-    down = F.concat(
-        F.coalesce("data.children", F.array().cast("array<string>")),
-        F.coalesce(F.transform(F.map_values("data.cell_set"), lambda v: v["block_id"]), F.array().cast("array<string>")),
-        F.coalesce(F.flatten(F.filter("data.cells", lambda r: r.isNotNull())), F.array().cast("array<string>")),
-    )
-    told = b.select(
-        "doc_token",
-        F.explode(
-            F.concat(
-                F.transform(down, lambda c: F.struct(F.col("block_id").alias("p"), c.alias("c"))),
-                F.array(F.struct(F.col("data.parent_id").alias("p"), F.col("block_id").alias("c"))),
-            )
-        ).alias("l"),
-    ).select("doc_token", F.col("l.p").alias("parent_block_id"), F.col("l.c").alias("block_id"))
-    told = told.where("parent_block_id is not null and block_id is not null and parent_block_id <> block_id").distinct()
+    told = links(b, "block", ["doc_token"], "block_id", BLOCK_REFS).select("doc_token", F.col("owner").alias("parent_block_id"), F.col("owned").alias("block_id"))
+    told = told.where("parent_block_id <> block_id")
     ids = b.select("doc_token", "block_id")
     return told.join(ids, ["doc_token", "block_id"], "left_semi").join(ids.withColumnRenamed("block_id", "parent_block_id"), ["doc_token", "parent_block_id"], "left_semi").select("doc_token", "parent_block_id", "block_id")

@@ -28,6 +28,26 @@ def test_round_trip_of_nested_rows(spark):
     assert t["r"].count() == 2
 
 
+def test_shared_and_recursive_elements_get_link_rows(spark):
+    assert shred.shared_elements([("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("e", "d"), ("a", "f")]) == {"c", "d", "e"}
+    schema = T._parse_datatype_string("k string, up string, a struct<one: string, xs array<struct<y: string, zs: array<string>>>, m: map<string, array<string>>>")
+    refs = {"up": shred.Ref("r", up=True), "a.one": shred.Ref("other"), "a.xs.y": shred.Ref("r"), "a.xs.zs": shred.Ref("r"), "a.m": shred.Ref("r")}
+    plan = {t.name: t for t in shred.inline_plan(schema, "r", ["k"], refs)}
+    assert {(t.name, c) for t in plan.values() for c in t.links} == {("r", "up"), ("r_a_xs", "y"), ("r_a_xs_zs", "value"), ("r_a_m_item", "value")}
+    assert "a_one" in plan["r"].columns  # told once, so a foreign key
+    assert "a_one" in {t.name: t for t in shred.inline_plan(schema, "r", ["k"], refs, [("more", "other")])}["r"].links
+    try:
+        shred.inline_plan(schema, "r", ["k"], {"a.none": shred.Ref("r")})
+        raise AssertionError("a member that is not there was taken")
+    except ValueError:
+        pass
+    assert "item_k" in shred.inline_plan(T._parse_datatype_string("k string, xs array<struct<k: int>>"), "r", ["k"])[1].columns
+    rows = [("s", "1", "0", ("9", [("2", ["3", None, "3"]), (None, None), None], {"p": ["4", None], "q": None})), ("s", "2", None, None), ("t", "1", None, (None, None, {"p": ["1"]}))]
+    df = spark.createDataFrame(rows, "s string, k string, up string, a struct<one: string, xs array<struct<y: string, zs: array<string>>>, m: map<string, array<string>>>")
+    got = sorted(tuple(r) for r in shred.links(df, "r", ["s"], "k", refs).collect())
+    assert got == [("s", "0", "1"), ("s", "1", "2"), ("s", "1", "3"), ("s", "1", "4"), ("t", "1", "1")]
+
+
 def test_links_from_all_sides_first_block_wins(spark):
     blocks = {
         "p": {"data": {"type": "page", "children": ["a", "a", "gone", "p"]}},
